@@ -28,3 +28,9 @@ def one_spaced(c: Column | str) -> Column:
     """Lower case, stripped, inner white space as one space."""
     c = F.col(c) if isinstance(c, str) else c
     return strip(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+def words(c: Column | str) -> Column:
+    """The runs of Unicode letters and numbers in lower case, in order; text without any gives one empty word."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " "))), " ")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, strip
-from tessella.llm import components, ledger
+from tessella.llm import components, leaks, ledger
+from tessella.operators import baskets
 from tessella.sources.tables import table
 
 
@@ -50,10 +51,41 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select(F.col("id").alias("review_id"), "group_id", "split_name")
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split)}
+def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baskets.pairs(table(spark, sf_dir, "review_level_nmf_feature_table"), "review_id", ["brand", "price_tier", "skin_type"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items of different columns that reviews hold together well above chance."""
+    return baskets.above_chance(_item_pairs(spark, sf_dir)).select("item_a", "item_b")
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of items with its number of reviews and its ratio to chance."""
+    return _item_pairs(spark, sf_dir).select("item_a", "item_b", "pair_count", F.round("lift", 6).alias("lift"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the item."""
+    return leaks.common_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found)}
+
+
+_ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"
+_PAIRS = f"""
+i as (select distinct review_id, unnest([{_ITEM.format("brand")}, {_ITEM.format("price_tier")}, {_ITEM.format("skin_type")}]) item
+      from review_level_nmf_feature_table where review_id is not null),
+c as (select item, count(*) n from i where item is not null group by item),
+m as (select count(distinct review_id) records from review_level_nmf_feature_table),
+p as (select a.item item_a, b.item item_b, count(*) pair_count from i a join i b using (review_id)
+      where a.item < b.item and split_part(a.item, '=', 1) <> split_part(b.item, '=', 1) group by all),
+l as (select item_a, item_b, pair_count, records, a.n count_a, b.n count_b from p join c a on a.item = item_a join c b on b.item = item_b, m)
+"""
+_RUNS = """select {0}, array_to_string(w[x:x + 11], ' ') run from (select {0}, w, unnest(range(1, len(w) - 10)) x
+      from (select {0}, list_transform(regexp_extract_all({1}, '[\\p{{L}}\\p{{N}}]+'), lambda y: lower(y)) w from {2}))"""
 _KEY = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _COPIES = f"""
 k as (select review_id, {_KEY.format("author_id")} a, {_KEY.format("review_title")} b, {_KEY.format("review_text")} c from reviews),
@@ -78,4 +110,8 @@ def oracle_sql() -> dict[str, str]:
             g as (select review_id, coalesce(root, k) c from r left join root on k = a where k <> ''),
             s as (select min(review_id) over (partition by c) group_id, review_id, count(*) over (partition by c) n from g)
             select group_id, review_id from s where n > 1""",
+        "p7_found": f"with {_PAIRS} select item_a, item_b from l where 200 * pair_count >= records and 2 * pair_count * records >= 3 * count_a * count_b",
+        "p7_pairs": f"with {_PAIRS} select item_a, item_b, pair_count, round(pair_count::double * records / (count_a::double * count_b), 6) lift from l",
+        "p8_found": f"""with d as ({_RUNS.format("doc_id", "text", "documents")}), e as ({_RUNS.format("item_id", "item_text", "eval_items")})
+            select distinct doc_id, item_id from d join e using (run)""",
     }
