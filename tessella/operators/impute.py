@@ -169,6 +169,17 @@ def fill_missing(df: DataFrame, id_col: str, targets: list[Target], numbers: dic
     return reduce(DataFrame.unionByName, parts)
 
 
+def review_numbers() -> dict[str, Column]:
+    """The numbers that reviews are clustered on; null where not observed (``least`` and ``greatest`` would skip nulls)."""
+    price, feedback = first_positive_number("price_usd"), F.col("total_feedback_count")
+    return {
+        "rating": F.when(F.col("rating").rlike(r"^\s*[1-5](\.0+)?\s*$"), strip("rating")).try_cast("double"),
+        "price": F.when(price.isNotNull(), F.log1p(F.least(price, F.lit(1000.0)))),
+        "helpfulness": not_nan("helpfulness"),
+        "feedback": F.when(feedback.isNotNull(), F.log1p(F.greatest(feedback, F.lit(0)).cast("double"))),
+    }
+
+
 def fill_reviews(reviews: DataFrame) -> DataFrame:
     """The missing skin_type, skin_tone, price_usd and helpfulness of reviews, filled from their author or product."""
     keys = {"author": letters_digits("author_id"), "product": F.lower(strip("product_id"))}
@@ -178,11 +189,6 @@ def fill_reviews(reviews: DataFrame) -> DataFrame:
         Target("price_usd", "product", first_positive_number("price_usd"), False),
         Target("helpfulness", "product", not_nan("helpfulness"), False),
     ]
-    numbers = {
-        "rating": F.when(F.col("rating").rlike(r"^\s*[1-5](\.0+)?\s*$"), strip("rating")).try_cast("double"),
-        "price": F.log1p(F.least(first_positive_number("price_usd"), F.lit(1000.0))),
-        "helpfulness": not_nan("helpfulness"),
-        "feedback": F.log1p(F.greatest(F.col("total_feedback_count"), F.lit(0)).cast("double")),
-    }
+    numbers = review_numbers()
     words = {c: known_word(c) for c in ("skin_type", "skin_tone", "eye_color", "hair_color")}
     return fill_missing(reviews, "review_id", targets, numbers, words, keys)
