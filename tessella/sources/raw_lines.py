@@ -18,6 +18,9 @@ RAW_COLUMNS = {
     "brand_name": "string", "price_usd": "double",
 }
 
+#: The most fields that the reader takes in one record; it fails beyond.
+MOST_FIELDS = 20480
+
 WHOLE = r"^[0-9]+$"
 DECIMAL = r"^[0-9]+(\.[0-9]+)?$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?$"
@@ -73,16 +76,19 @@ def read_lines(df: DataFrame, line: str = "raw_line", columns: dict[str, str] |
     Records are read permissively under an explicit schema; what the reader refuses keeps its raw text. Reasons are then
     found for every record, as the reader lets some broken ones pass: ``quoting``, ``column_count``, ``bad_value``, the
     first that holds, else null. A null record counts as empty and so has a wrong column count; other columns of ``df`` are
-    kept, but for those named fields, corrupt or reason, which get the suffix ``_given``.
+    kept, but for those named fields, corrupt or reason, which get the suffix ``_given``. A record with more fields than the
+    reader takes is not given to it: its ``fields`` are null and its raw text and reason are kept like any other's.
     """
     columns = columns or RAW_COLUMNS
     names = {name: f"c{i}" for i, name in enumerate(columns)}
     schema = ", ".join(f"{c} string" for c in names.values()) + ", corrupt string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": "20480", "nullValue": "\x00", "emptyValue": ""}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(MOST_FIELDS), "nullValue": "\x00", "emptyValue": ""}
     kept = df.withColumnsRenamed({c: f"{c}_given" for c in ("fields", "corrupt", "reason") if c in df.columns})
     text = F.coalesce(F.col(line), F.lit(""))
-    read = kept.withColumn("fields", F.from_csv(text, schema, options))
     broken, fields = _quoting(text)
+    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    readable = (commas < MOST_FIELDS - 1) | (~broken & (fields < MOST_FIELDS))
+    read = kept.withColumn("fields", F.from_csv(F.when(readable, text), schema, options))
     value = {name: strip(F.coalesce(F.col("fields")[c], F.lit(""))) for name, c in names.items()}
     checks = value_checks(value)
     bad = reduce(lambda a, b: a | b, [~ok for ok in checks.values()])
