@@ -102,13 +102,20 @@ def rejected(df: DataFrame, line: str = "raw_line") -> DataFrame:
 
 
 def loaded(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
-    """All other records as typed rows; empty values become null."""
+    """All other records as typed rows; empty values become null.
+
+    A good value that its type can't hold, such as a count over 2^63, is null too, and its text is kept under its column's
+    name in the map ``unfit``, which is null where every value fits.
+    """
     rows = read_lines(df, line).where(F.col("reason").isNull())
-    typed = []
+    typed, unfit = [], []
     for i, (name, kind) in enumerate(RAW_COLUMNS.items()):
         value = F.col("fields")[f"c{i}"]
         if kind != "string":
             value = strip(value)
         value = F.when(value != "", value)
         typed.append((value if kind == "string" else value.try_cast(kind)).alias(name))
-    return rows.select(*keep, *typed)
+        if kind != "string":
+            unfit.append(F.when(value.isNotNull() & value.try_cast(kind).isNull(), F.struct(F.lit(name).alias("column"), value.alias("text"))))
+    lost = F.array_compact(F.array(*unfit))
+    return rows.select(*keep, *typed, F.when(F.size(lost) > 0, F.map_from_entries(lost)).alias("unfit"))

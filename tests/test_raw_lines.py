@@ -14,3 +14,10 @@ def test_records_with_more_fields_than_the_reader_takes(spark):
     texts = [r["raw_line"] for r in df.orderBy("line_id").collect()]
     assert found == {1: ("column_count", texts[1]), 2: ("quoting", texts[2]), 4: ("quoting", texts[4])}
     assert {r["line_id"]: r["review_text"] for r in loaded(df).collect()} == {0: "fine", 3: many}
+
+
+def test_numbers_too_large_for_their_type_keep_their_text(spark):
+    big = "9223372036854775808"
+    df = _lines(spark, GOOD.format(big, "x"), GOOD.format(9223372036854775807, "y"), GOOD.format(7, "z").replace(",3,1,2,", f",3,,{big},"))
+    found = {r["line_id"]: (r["Unnamed: 0"], r["total_pos_feedback_count"], r["unfit"]) for r in loaded(df).collect()}
+    assert found == {0: (None, 2, {"Unnamed: 0": big}), 1: (9223372036854775807, 2, None), 2: (7, None, {"total_pos_feedback_count": big})}
