@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, strip
-from tessella.llm import components, leaks, ledger
+from tessella.llm import components, encoding, leaks, ledger
 from tessella.operators import baskets
 from tessella.sources.tables import table
 
@@ -70,8 +70,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.common_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are wholly or in part misread in a wrong encoding."""
+    return encoding.misread(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents with their text put right where it can be."""
+    return encoding.restored(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found, p10_found, p10_restored)}
 
 
 _ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"
