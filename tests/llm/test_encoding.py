@@ -6,11 +6,11 @@ SCHEMA = "doc_id long, text string, restored string, extra int"
 
 def _frame(spark, texts):
     base = [(i, t, "x", 1) for i, t in enumerate(CLEAN * 60)]
-    return spark.createDataFrame(base + [(100 + i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame(base + [(1000 + i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
 
 
 def _mended(spark, texts):
-    return {r["doc_id"] - 100: r["restored"] for r in restored(_frame(spark, texts), "doc_id", "text").collect()}
+    return {r["doc_id"] - 1000: r["restored"] for r in restored(_frame(spark, texts), "doc_id", "text").collect()}
 
 
 def test_one_to_three_levels_of_utf8_come_back_whole(spark):
@@ -44,6 +44,6 @@ def test_intended_characters_are_no_case(spark):
 
 def test_empty_table_long_text_and_repeats(spark):
     frame = _frame(spark, ["für " * 20_000, "fÃ¼r " * 20_000, "fÃ¼r", "fÃ¼r"])
-    assert {r[0] for r in misread(frame, "doc_id", "text").collect()} == {101, 102, 103}
+    assert {r[0] for r in misread(frame, "doc_id", "text").collect()} == {1001, 1002, 1003}
     assert misread(frame.limit(0), "doc_id", "text").count() == 0
     assert restored(frame.limit(0), "doc_id", "text").count() == 0
