@@ -18,8 +18,9 @@ LOST = "�"
 MARK = "﻿"
 #: What taking a span for misread costs against reading its characters as they stand, in nats; the same for each lost byte.
 SPAN_COST, LOST_COST = 3.0, 4.0
-#: The probability of a character that the corpus does not hold, as a share of all characters beyond ASCII.
-UNSEEN = 1e-8
+#: The probability of a character that the corpus holds only in misread spans, and of one that it does not hold, as a share
+#: of all characters beyond ASCII.
+ODD, UNSEEN = 1e-5, 1e-8
 #: How many times as frequent as the form that stands the restored word must be, where bytes alone prove nothing.
 WEAK_ODDS = 8.0
 DEPTH = 4
@@ -49,7 +50,7 @@ class Channel:
 
     def __init__(self, letters: dict[str, int]):
         whole = float(sum(letters.values()) or 1)
-        self.log = {c: math.log(n / whole) for c, n in letters.items()}
+        self.log = {c: math.log(max(n / whole, ODD)) for c, n in letters.items()}
         self.unseen = math.log(UNSEEN)
         self.bytes = {e: _to_byte(e) for e in ENCODINGS}
         self.chars = {e: {b: c for c, b in t.items()} for e, t in self.bytes.items()}
@@ -148,6 +149,23 @@ class Channel:
         return sum(map(self.cost_less, text))
 
 
+def mark_proper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with ``n`` as 0 where all bytes of the span are UTF-8 in one of the encodings."""
+    tables = [{ord(c): chr(b) for c, b in _to_byte(e).items()} for e in ENCODINGS]
+
+    def in_any(s: str) -> bool:
+        for table in tables:
+            try:
+                s.translate(table).encode("latin-1").decode()
+                return True
+            except UnicodeError:
+                pass
+        return False
+
+    for f in frames:
+        yield f.assign(n=[0 if in_any(s) else n for s, n in zip(f["span"], f["n"])])
+
+
 def candidates(counts: DataFrame, letters: dict[str, int]) -> DataFrame:
     """(span, n, reading, sure, score) for every distinct span that has another reading; score: log likelihood of its
     characters."""
@@ -174,10 +192,11 @@ def misread_spans(docs: DataFrame, text: str) -> DataFrame:
     several readings the most frequent in the corpus is taken, then the likeliest by its characters. Spans with lost
     characters without a reading get the most frequent span of the same ASCII letters, if these are two or more.
 
-    Only the number of each character beyond ASCII, at most one for each code point, comes to the driver.
+    Characters are counted over the spans that no encoding turns into UTF-8, so that many copies of one misread document
+    don't make its signs look usual. Only these counts, at most one for each code point, come to the driver.
     """
     counts = materialize(docs.select(F.explode(spans(F.col(text))).alias("span")).where(F.col("span") != "").groupBy("span").agg(F.count(F.lit(1)).alias("n")), "spans")
-    chars = counts.select(F.explode(F.array_distinct(F.split("span", ""))).alias("c"), "n").where(F.col("c").rlike(r"[^\x00-\x7f]"))
+    chars = counts.mapInPandas(mark_proper, counts.schema).select(F.explode(F.array_distinct(F.split("span", ""))).alias("c"), "n").where(F.col("c").rlike(r"[^\x00-\x7f]"))
     letters = {r["c"]: r["n"] for r in chars.groupBy("c").agg(F.sum("n").alias("n")).collect() if len(r["c"]) == 1}
     read = candidates(counts.repartition(F.col("span")), letters)
     known = counts.select(F.col("span").alias("reading"), F.col("n").alias("known"))
