@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, strip
-from tessella.llm import components, encoding, leaks, ledger
+from tessella.llm import components, encoding, leaks, ledger, mixing
 from tessella.operators import baskets
 from tessella.sources.tables import table
 
@@ -70,6 +70,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.common_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix with how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, budget and actual share of tokens of every source of every mix."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are wholly or in part misread in a wrong encoding."""
     return encoding.misread(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,7 +95,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 _ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"
