@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, strip
-from tessella.llm import components, encoding, leaks, ledger, mixing
+from tessella.llm import components, encoding, leaks, ledger, mixing, pii
 from tessella.operators import baskets
 from tessella.sources.tables import table
 
@@ -51,6 +51,20 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select(F.col("id").alias("review_id"), "group_id", "split_name")
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_information(table(spark, sf_dir, "reviews"), "review_id", "review_text", "brand_name")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of personal information that each review's text holds."""
+    return _tagged(spark, sf_dir).select("review_id", F.explode("types").alias("pii_type"))
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold personal information, with a typed placeholder for each value."""
+    return _tagged(spark, sf_dir).select("review_id", F.col("masked").alias("review_text"))
+
+
 def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baskets.pairs(table(spark, sf_dir, "review_level_nmf_feature_table"), "review_id", ["brand", "price_tier", "skin_type"])
 
@@ -95,7 +109,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p7_found, p7_pairs, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p6_found, p6_masked, p7_found, p7_pairs, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 _ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"
