@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, one_spaced, strip
@@ -67,14 +67,16 @@ def k_prototypes(df: DataFrame, numbers: list[str], words: list[str], id_col: st
     """``df`` with its ``cluster``, and the prototypes: means of the observed numbers (scaled to deviation 1) and modes of
     the observed words, over all rows.
 
-    Starts from the k rows of least md5 of the id. Each round is one aggregation to the combinations of cluster and words,
+    Starts from the k rows of least md5 of the id among those that miss the fewest features, and makes ``rounds`` rounds at
+    most, settled or not. Each round is one aggregation to the combinations of cluster and words,
     of which only k rows of means and k times the number of words of modes come to the driver. Ends when the total distance
     falls by less than ``tolerance``. With no rows there are no prototypes and ``cluster`` is 0.
     """
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in numbers], *[F.stddev_pop(c).alias(f"s_{c}") for c in numbers]).first()
     scaled = df.withColumns({f"z_{c}": (F.col(c) - F.lit(float(stats[f"m_{c}"] or 0.0))) / F.lit(float(stats[f"s_{c}"] or 0.0) or 1.0) for c in numbers})
     zs = [f"z_{c}" for c in numbers]
-    start = scaled.select(id_col, *zs, *words).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(k).collect()
+    lacks = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in [*zs, *words]])
+    start = scaled.select(id_col, *zs, *words).orderBy(lacks, F.md5(F.col(id_col).cast("string")), id_col).limit(k).collect()
     protos = [r.asDict() for r in start]
     if not protos:
         return df.withColumn("cluster", F.lit(0)), []
@@ -108,65 +110,111 @@ def k_prototypes(df: DataFrame, numbers: list[str], words: list[str], id_col: st
 # --- filling ----------------------------------------------------------------------------------------------------------
 
 
-def _middle(values: str, categorical: bool, weight: str) -> Column:
-    """Mode (ties to the least value) of counted words, or exact median of counted numbers."""
-    if categorical:
-        return F.min_by(values, F.when(F.col(values).isNotNull(), F.struct(-F.col(weight), F.col(values))))
-    return F.percentile(values, F.lit(0.5), F.col(weight))
+def _level(name: str) -> Column:
+    return F.col(f"level.{name}").alias(name)
 
 
-def fill_target(rows: DataFrame, id_col: str, target: Target) -> DataFrame:
-    """(id, column_name, value, method) for every row of ``rows`` that misses the target.
+def _bin(c: Column) -> Column:
+    """A bin that grows with the number, so that the bins of a group come in the order of its values."""
+    return F.signum(c) * F.floor(F.log1p(F.abs(c)) * 64)
 
-    ``rows`` has the columns ``known``, ``key`` and ``cluster``. Values are counted by group, cluster and value first, so
-    a group with a third of all rows comes to its distinct values. Methods, first that has a value: ``group_cluster`` (same
-    group and cluster), ``group``, ``cluster`` (same cluster of all records), ``all``; with no value anywhere the row comes
-    out unfilled with method null.
+
+def middles(counted: DataFrame) -> DataFrame:
+    """(column, key, cluster, word, num): mode or median of every level of ``counted`` (column, key, cluster, word, num, n).
+
+    Levels are the cluster of a group, the group (cluster null), the cluster of all records (key null) and all records
+    (both null). Ties of words go to the least. A median is found by the counts of bins first and then in the one or two
+    bins that hold it, so a group with any number of different values is never sorted or kept in one task.
     """
-    c = target.categorical
-    counted = materialize(rows.groupBy("key", "cluster", "known").agg(F.count(F.lit(1)).alias("n")), "counted")
-    seen = counted.where(F.col("known").isNotNull())
-    ingroup = seen.where(F.col("key").isNotNull() & (F.col("key") != ""))
-    cells = ingroup.groupBy("key", "cluster").agg(_middle("known", c, "n").alias("cell")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "cell"))).alias("cells"))
-    parents = ingroup.groupBy("key", "known").agg(F.sum("n").alias("n")).groupBy("key").agg(_middle("known", c, "n").alias("parent"))
-    missing = counted.where(F.col("known").isNull()).groupBy("key").agg(F.sum("n").alias("missing"))
-    groups = materialize(missing.join(parents, "key").join(cells, "key"), "groups")
-    of_all = seen.groupBy("cluster", "known").agg(F.sum("n").alias("n"))
-    clusters = {r["cluster"]: r["v"] for r in of_all.groupBy("cluster").agg(_middle("known", c, "n").alias("v")).collect()}
-    whole = of_all.groupBy("known").agg(F.sum("n").alias("n")).agg(_middle("known", c, "n").alias("v")).first()["v"]
-    kind = "string" if c else "double"
-    lacking = rows.where(F.col("known").isNull()).select(F.col(id_col).alias("id"), "key", "cluster")
-    filled = join_to_unique(lacking, groups, ["key"], "missing").select(
-        "id",
-        F.coalesce(F.element_at("cells", F.col("cluster")), "parent").alias("value"),
-        F.when(F.element_at("cells", F.col("cluster")).isNotNull(), "group_cluster").otherwise("group").alias("method"),
-    )
-    other = reduce(lambda e, kv: F.when(F.col("cluster") == kv[0], F.lit(kv[1])).otherwise(e), clusters.items(), F.lit(None).cast(kind))
-    hasgroup = groups.select("key", "missing").withColumn("_has", F.lit(True))
-    rest = lacking.join(hasgroup.drop("missing"), "key", "left_anti").select(
-        "id",
-        F.coalesce(other, F.lit(whole).cast(kind)).alias("value"),
-        F.when(other.isNotNull(), "cluster").when(F.lit(whole is not None), "all").alias("method"),
+    key, cluster, none = F.col("key"), F.col("cluster"), F.lit(None)
+    grouped = key.isNotNull()
+    levels = F.array_compact(
+        F.array(
+            *[F.when(ok, F.struct(k.cast("string").alias("key"), c.cast("int").alias("cluster"))) for ok, k, c in ((grouped, key, cluster), (grouped, key, none), (F.lit(True), none, cluster), (F.lit(True), none, none))]
+        )
     )
-    return filled.unionByName(rest).select("id", F.lit(target.column).alias("column_name"), F.col("value").cast("string").alias("value"), "method")
+    level = ["column", "key", "cluster"]
+    each = (
+        counted.where(F.col("word").isNotNull() | F.col("num").isNotNull())
+        .select("column", F.explode(levels).alias("level"), "word", "num", "n")
+        .select("column", _level("key"), _level("cluster"), "word", "num", "n")
+        .groupBy(*level, "word", "num").agg(F.sum("n").alias("n"))
+    )
+    each = materialize(each, "levels")
+    modes = each.where(F.col("word").isNotNull()).groupBy(*level).agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("word")).withColumn("num", F.lit(None).cast("double"))
+    values = each.where(F.col("num").isNotNull()).withColumn("bin", _bin(F.col("num")))
+    bins = Window.partitionBy(*level).orderBy("bin")
+    upto = F.sum("n").over(bins.rowsBetween(Window.unboundedPreceding, 0))
+    held = values.groupBy(*level, "bin").agg(F.sum("n").alias("n")).withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy(*level))})
+    first, last = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1  # the places of the one or two middle values
+    inside = (F.col("upto") >= first) & (F.col("upto") - F.col("n") < last)
+    held = held.where(inside).select(*level, "bin", (F.col("upto") - F.col("n")).alias("before"), first.alias("first"), last.alias("last"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*level, "bin"]]
+    near = values.alias("a").join(held.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", "before", "first", "last")
+    place = F.col("before") + F.sum("n").over(Window.partitionBy(*level, "bin").orderBy("num").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("place", place)
+    at = lambda p: F.min(F.when(F.col("place") >= F.col(p), F.col("num")))
+    medians = near.groupBy(*level).agg(((at("first") + at("last")) / 2).alias("num")).select(*level, F.lit(None).cast("string").alias("word"), "num")
+    return modes.unionByName(medians)
 
 
 def fill_missing(df: DataFrame, id_col: str, targets: list[Target], numbers: dict[str, Column], words: dict[str, Column], keys: dict[str, Column], k: int = 6) -> DataFrame:
-    """Every missing value of ``targets`` with its fill and method, as rows (id, column_name, value, method)."""
+    """Every missing value of ``targets`` with its fill and method, as rows (id, column_name, value, method).
+
+    Values of all targets are counted by column, group, cluster and value in one aggregation, so a group with a third of all
+    rows comes to its distinct values. Methods, first that has a value: ``group_cluster`` (same group and cluster), ``group``,
+    ``cluster`` (same cluster of all records), ``all``; with no value anywhere the row comes out unfilled with method null.
+    Empty keys form no group.
+    """
     slim = df.select(
         F.col(id_col),
-        *[c.alias(f"key_{n}") for n, c in keys.items()],
+        *[F.when(c != "", c).alias(f"key_{n}") for n, c in keys.items()],
         *[c.cast("double").alias(f"num_{n}") for n, c in numbers.items()],
         *[c.alias(f"word_{n}") for n, c in words.items()],
         *[t.known.alias(f"known_{t.column}") for t in targets],
     )
     slim = materialize(slim, "slim")
     clustered, _ = k_prototypes(slim, [f"num_{n}" for n in numbers], [f"word_{n}" for n in words], id_col, k)
-    parts = []
-    for t in targets:
-        rows = clustered.select(id_col, "cluster", F.col(f"key_{t.group}").alias("key"), F.col(f"known_{t.column}").alias("known"))
-        parts.append(fill_target(rows, id_col, t))
-    return reduce(DataFrame.unionByName, parts)
+    cells = [
+        F.struct(
+            F.lit(t.column).alias("column"), F.col(f"key_{t.group}").alias("key"),
+            (F.col(f"known_{t.column}") if t.categorical else F.lit(None)).cast("string").alias("word"),
+            (F.lit(None) if t.categorical else F.col(f"known_{t.column}")).cast("double").alias("num"),
+        )
+        for t in targets
+    ]
+    long = materialize(clustered.select(F.col(id_col).alias("id"), "cluster", F.explode(F.array(*cells)).alias("c")).select("id", "cluster", "c.*"), "cells")
+    counted = materialize(long.groupBy("column", "key", "cluster", "word", "num").agg(F.count(F.lit(1)).alias("n")), "counted")
+    middle = materialize(middles(counted), "middles")
+    rest = {(r["column"], r["cluster"]): r for r in middle.where(F.col("key").isNull()).collect()}  # a row for each target and cluster
+    gone = F.col("word").isNull() & F.col("num").isNull()
+    missing = counted.where(gone & F.col("key").isNotNull()).groupBy("column", "key").agg(F.sum("n").alias("missing"))
+    parts = F.map_from_entries(F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct("cluster", F.struct("word", "num")))))
+    groups = middle.where(F.col("key").isNotNull()).groupBy("column", "key").agg(
+        parts.alias("cells"), F.first(F.when(F.col("cluster").isNull(), F.struct("word", "num")), True).alias("parent")
+    )
+    groups = materialize(missing.join(groups, ["column", "key"]), "groups")
+    lacking = long.where(gone).select("id", "column", "key", "cluster")
+    found = join_to_unique(lacking, groups, ["column", "key"], "missing", how="left")
+    cell = F.element_at("cells", F.col("cluster"))
+
+    def other(field: str, whole: bool) -> Column:
+        kind, out = ("string" if field == "word" else "double"), F.lit(None)
+        for (column, cluster), r in rest.items():
+            if (cluster is None) == whole:
+                here = F.col("column") == column if whole else (F.col("column") == column) & (F.col("cluster") == cluster)
+                out = F.when(here, F.lit(r[field])).otherwise(out)
+        return out.cast(kind)
+
+    def text(word: Column, num: Column) -> Column:
+        return F.coalesce(word, num.cast("string"))
+
+    steps = {
+        "group_cluster": text(cell["word"], cell["num"]), "group": text(F.col("parent.word"), F.col("parent.num")),
+        "cluster": text(other("word", False), other("num", False)), "all": text(other("word", True), other("num", True)),
+    }
+    choice = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(m).alias("method"))) for m, v in steps.items()])
+    return found.select("id", F.col("column").alias("column_name"), choice.alias("_c")).select("id", "column_name", "_c.value", "_c.method")
 
 
 def review_numbers() -> dict[str, Column]:
