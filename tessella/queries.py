@@ -78,7 +78,7 @@ p as (select source_file, column_name, count(*) as rows, count(*) - count(v) nul
       count(x) filter (ranged) s0, sum(x) filter (ranged) s1, sum(cast(x as decimal(18,4)) * cast(x as decimal(18,4))) filter (ranged) s2
       from g group by all),
 q as (select *, nulls / rows null_rate, s1::double / nullif(s0, 0) mean from p),
-d as (select *, sqrt(greatest(0, s2::double / nullif(s0, 0) - mean * mean)) deviation from q),
+d as (select *, case when s0 > 0 then sqrt(greatest(0, s2::double / s0 - mean * mean)) end deviation from q),
 o as (select source_file, lag(source_file) over (partition by regexp_extract(source_file, '^(.*)_[0-9]+[.][^.]*$', 1)
       order by cast(regexp_extract(source_file, '_([0-9]+)[.][^.]*$', 1) as int)) previous_load from (select distinct source_file from r)),
 s as (select source_file, column_name, case when column_name = 'price_usd' then least(floor(x / 25), 4) else x end b, count(*) n from g
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"""with {_P4} select source_file, column_name, unnest(list_filter([
             case when malformed > 0.05 * (rows - nulls) then 'pattern' end, case when out_of_range > 0.02 * (rows - nulls) then 'range' end,
-            case when abs(null_rate_change) > 0.10 then 'null_rate' end, case when shift > 0.20 then 'shift' end], x -> x is not null)) finding from c""",
+            case when abs(null_rate_change) > 0.10 then 'null_rate' end, case when shift > 0.20 then 'shift' end], lambda x: x is not null)) finding from c""",
         "p4_profile": f"""with {_P4} select source_file, column_name, previous_load, rows, nulls, distinct_values, min_value, max_value, malformed,
             out_of_range, s0, round(s1::double, 6) s1, round(s2::double, 6) s2, round(null_rate, 6) null_rate, round(mean, 6) mean,
             round(deviation, 6) deviation, round(null_rate_change, 6) null_rate_change,
