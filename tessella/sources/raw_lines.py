@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
+from tessella.plans.materialize import once
 
 #: The columns of a raw review file, in order, with the type each is loaded as.
 RAW_COLUMNS = {
@@ -50,24 +51,28 @@ def value_checks(v: dict[str, Column]) -> dict[str, Column]:
     } | counts
 
 
-def _quoting(line: Column) -> tuple[Column, Column]:
-    """Whether a record's quoting is broken, and its number of fields.
+def _quoting(line: Column) -> Column:
+    """Whether a record's quoting is ``broken``, and its number of ``fields``.
 
     Cut at each quote, a sound record has an even number of quotes, and every piece outside them (each second one) is
     empty, which is an escaped quote, or starts with the comma after a closing and ends with that before an opening quote.
-    Linear in the text's length, without recursion in a regular expression.
+    One fold over the pieces carries what it needs, so the work is linear in the text's length, without recursion in a
+    regular expression. A line without quotes is sound.
     """
-    pieces = F.split(line, '"', -1)
-    last = F.size(pieces) - 1
-    outside = F.filter(pieces, lambda _, i: i % 2 == 0)
-    ends = F.size(outside) - 1
-    sound = F.transform(
-        outside,
-        lambda p, i: (p == "") | (((i == 0) | p.startswith(",")) & ((i == ends) | p.endswith(","))),
-    )
-    broken = (last % 2 != 0) | ((last > 0) & ~F.forall(sound, lambda x: x))
-    fields = F.aggregate(outside, F.lit(1), lambda n, p: n + F.length(p) - F.length(F.replace(p, F.lit(","), F.lit(""))))
-    return broken, fields
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("sound"), F.lit(1).alias("fields"), F.lit(True).alias("opens"))
+
+    def step(s: Column, p: Column) -> Column:
+        outside = s["at"] % 2 == 0
+        commas = F.length(p) - F.length(F.replace(p, F.lit(","), F.lit("")))
+        starts = (s["at"] == 0) | (p == "") | p.startswith(",")
+        sound = s["sound"] & (~outside | (s["opens"] & starts))
+        return F.struct(
+            (s["at"] + 1).alias("at"), sound.alias("sound"), F.when(outside, s["fields"] + commas).otherwise(s["fields"]).alias("fields"),
+            F.when(outside, (p == "") | p.endswith(",")).otherwise(s["opens"]).alias("opens"),
+        )
+
+    seen = F.aggregate(F.split(line, '"', -1), start, step)
+    return F.transform(F.array(seen), lambda s: F.struct(((s["at"] % 2 == 0) | ~s["sound"]).alias("broken"), s["fields"].alias("fields")))[0]
 
 
 def read_lines(df: DataFrame, line: str = "raw_line", columns: dict[str, str] | None = None) -> DataFrame:
@@ -85,15 +90,19 @@ def read_lines(df: DataFrame, line: str = "raw_line", columns: dict[str, str] |
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(MOST_FIELDS), "nullValue": "\x00", "emptyValue": ""}
     kept = df.withColumnsRenamed({c: f"{c}_given" for c in ("fields", "corrupt", "reason") if c in df.columns})
     text = F.coalesce(F.col(line), F.lit(""))
-    broken, fields = _quoting(text)
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    readable = (commas < MOST_FIELDS - 1) | (~broken & (fields < MOST_FIELDS))
-    read = kept.withColumn("fields", F.from_csv(F.when(readable, text), schema, options))
-    value = {name: strip(F.coalesce(F.col("fields")[c], F.lit(""))) for name, c in names.items()}
-    checks = value_checks(value)
+    seen = once(kept, "_seen", _quoting(text))
+    broken, count = F.col("_seen.broken"), F.col("_seen.fields")
+    readable = (commas < MOST_FIELDS - 1) | (~broken & (count < MOST_FIELDS))
+    read = once(seen, "fields", F.from_csv(F.when(readable, text), schema, options))
+    needed = list(value_checks({name: F.lit("") for name in names}))
+    stripped = [strip(F.coalesce(F.col("fields")[names[n]], F.lit(""))).alias(names[n]) for n in needed]
+    read = once(read, "_value", F.struct(*stripped))
+    checks = value_checks({n: F.col("_value")[names[n]] for n in needed})
     bad = reduce(lambda a, b: a | b, [~ok for ok in checks.values()])
-    reason = F.when(broken, "quoting").when(fields != len(columns), "column_count").when(bad, "bad_value")
-    return read.withColumn("reason", reason).withColumn("corrupt", F.when(F.col("reason").isNotNull(), F.coalesce(F.col("fields.corrupt"), text)))
+    reason = F.when(broken, "quoting").when(count != len(columns), "column_count").when(bad, "bad_value")
+    judged = once(read, "reason", reason)
+    return judged.withColumn("corrupt", F.when(F.col("reason").isNotNull(), F.coalesce(F.col("fields.corrupt"), text))).drop("_seen", "_value")
 
 
 def rejected(df: DataFrame, line: str = "raw_line") -> DataFrame:
