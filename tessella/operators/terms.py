@@ -52,9 +52,13 @@ def split_words(c: Column) -> Column:
 
 def terms(c: Column, stop: list[str] | None = None, shortest: int = 3) -> Column:
     """The words of at least ``shortest`` letters that are no stop words, then each pair of neighbours among those left."""
-    words = F.filter(split_words(c), lambda w: (F.length(w) >= shortest) & ~w.isin(STOP_WORDS if stop is None else stop))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+    kept = F.filter(split_words(c), lambda w: (F.length(w) >= shortest) & ~w.isin(STOP_WORDS if stop is None else stop))
+
+    def both(words: Column) -> Column:
+        pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+    return F.transform(F.array(kept), both)[0]
 
 
 def term_counts(df: DataFrame, id_col: str, text: Column, stop: list[str] | None = None) -> DataFrame:
@@ -84,18 +88,24 @@ def sentiment(c: Column, positive: list[str] | None = None, negative: list[str]
     intensifier, over the root of the number of words plus one; a text without words gives 0."""
     positive, negative = positive or POSITIVE, negative or NEGATIVE
     negators, intensifiers, phrases = negators or NEGATORS, intensifiers or INTENSIFIERS, PHRASES if phrases is None else phrases
-    text, words = plain(F.coalesce(c, F.lit(""))), split_words(F.coalesce(c, F.lit("")))
-    before = lambda i, k: F.coalesce(F.get(words, i - k), F.lit(""))
-
-    def score(w: Column, i: Column) -> Column:
-        base = F.when(w.isin(positive), 1.0).when(w.isin(negative), -1.0).otherwise(0.0)
-        turned = F.when(before(i, 1).isin(negators) | before(i, 2).isin(negators), -1.0).otherwise(1.0)
-        return base * turned * F.when(before(i, 1).isin(intensifiers), 1.35).otherwise(1.0)
-
-    total = F.aggregate(F.transform(words, score), F.lit(0.0), lambda a, x: a + x)
-    for phrase, weight in phrases.items():
-        total = total + F.regexp_count(text, F.lit(phrase)) * weight
-    return F.when(F.size(words) == 0, 0.0).otherwise(total / (F.sqrt(F.size(words).cast("double")) + 1))
+
+    def of(s: Column) -> Column:
+        text, words = s["text"], s["words"]
+        before = lambda i, k: F.coalesce(F.get(words, i - k), F.lit(""))
+
+        def score(w: Column, i: Column) -> Column:
+            base = F.when(w.isin(positive), 1.0).when(w.isin(negative), -1.0).otherwise(0.0)
+            turned = F.when(before(i, 1).isin(negators) | before(i, 2).isin(negators), -1.0).otherwise(1.0)
+            return base * turned * F.when(before(i, 1).isin(intensifiers), 1.35).otherwise(1.0)
+
+        total = F.aggregate(F.transform(words, score), F.lit(0.0), lambda a, x: a + x)
+        for phrase, weight in phrases.items():
+            total = total + (F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase) * weight
+        return F.when(F.size(words) == 0, 0.0).otherwise(total / (F.sqrt(F.size(words).cast("double")) + 1))
+
+    # text and words are bound to a variable, so that they are made once for each row and not for each word
+    text = plain(F.coalesce(c, F.lit("")))
+    return F.transform(F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.filter(F.split(t, " "), lambda w: w != "").alias("words"))), of)[0]
 
 
 def sentiment_label(score: Column, limit: float = 0.22) -> Column:

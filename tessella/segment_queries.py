@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import brands, clusters, features, rules, terms
 from tessella.operators.cleaning import to_number
-from tessella.plans.materialize import materialize
+from tessella.plans.materialize import materialize, once
 from tessella.sources.tables import table
 from tessella.text_queries import PLAIN, TOPICS, WORDS, sentiment_sql
 
@@ -30,11 +30,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "review_cluster_assignments").select("review_id", *KS.values())
     r = table(spark, sf_dir, "reviews")
     rating, rec = to_number("rating"), to_number("is_recommended")
-    o = r.select(
-        "review_id", F.when(rating.between(1, 5), rating.cast("int")).alias("rating"), F.when(rec.isin(0.0, 1.0), rec.cast("int")).alias("is_recommended"),
-        terms.sentiment(terms.combined("review_title", "review_text")).alias("sentiment_score"),
-    )
-    return one.join(a, "review_id", "left").join(o, "review_id", "left").withColumn("topic", features.largest_of(TOPICS))
+    o = r.select("review_id", F.when(rating.between(1, 5), rating.cast("int")).alias("rating"), F.when(rec.isin(0.0, 1.0), rec.cast("int")).alias("is_recommended"), "review_title", "review_text", F.lit(True).alias("_known"))
+    whole = one.join(a, "review_id", "left").join(o, "review_id", "left").withColumn("topic", features.largest_of(TOPICS))
+    score = F.when(F.col("_known"), terms.sentiment(terms.combined("review_title", "review_text")))
+    return once(whole, "sentiment_score", score).drop("review_title", "review_text", "_known")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

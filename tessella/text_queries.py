@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import features, terms, topics
-from tessella.plans.materialize import materialize
+from tessella.plans.materialize import materialize, once
 from tessella.sources.tables import table
 
 TOPICS = [f"nmf_topic_{i}_weight" for i in range(1, 9)]
@@ -45,7 +45,7 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon sentiment of each review."""
     score = terms.sentiment(_text(), [*terms.POSITIVE, *LIKED], [*terms.NEGATIVE, *DISLIKED])
-    scored = table(spark, sf_dir, "reviews").select("review_id", score.alias("score"))
+    scored = once(table(spark, sf_dir, "reviews"), "score", score)
     return scored.select("review_id", F.round("score", 6).alias("score"), terms.sentiment_label(F.round("score", 9)).alias("label"))
 
 
