@@ -12,13 +12,21 @@ from tessella.plans.materialize import discard, materialize
 from tessella.plans.skew import join_to_unique
 
 
-def _with_minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and all its v as ``m``; a node with a third of all edges is pre-aggregated and broadcast."""
+def _with_minimum(pairs: DataFrame, written: list[DataFrame]) -> DataFrame:
+    """(u, v) with the least of u and all its v as ``m``; a node with a third of all edges is pre-aggregated and broadcast.
+    What it writes is added to ``written``."""
     pairs = materialize(pairs, "pairs")
     least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "least")
+    written += [pairs, least]
     return join_to_unique(pairs, least, ["u"], "degree").withColumn("m", F.least("u", "m"))
 
 
+def _drop(written: list[DataFrame]) -> None:
+    for df in written:
+        if df.inputFiles():
+            discard(df)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns u, v): root is the component's smallest node.
 
@@ -30,14 +38,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     known = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     now, seen = materialize(known, "edges"), None
     for _ in range(max_rounds):
+        written: list[DataFrame] = [now]
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        large = _with_minimum(both).where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        tied = _with_minimum(large)
+        large = _with_minimum(both, written).where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        tied = _with_minimum(large, written)
         small = tied.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
         nxt = materialize(small.where(u != v).distinct(), "edges")
         sign = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now.inputFiles():
-            discard(now)
+        _drop(written)
         now = nxt
         if sign == seen:
             return now.select(u.alias("node"), v.alias("root")).unionByName(now.select(v.alias("node"), v.alias("root")).distinct())
@@ -60,6 +68,14 @@ def entity_edges(records: DataFrame, entities: list[str]) -> DataFrame:
     )
 
 
+def groups_by_entities(records: DataFrame, id_col: str, entities: list[str], links: DataFrame | None = None) -> DataFrame:
+    """``record_groups`` over several entities of a record, such as its author and its source: records that share a value of
+    any of them belong together. ``links`` ties entities written as column=value."""
+    edges = entity_edges(records, entities)
+    first = F.coalesce(*[F.concat(F.lit(c + "="), F.nullif(F.col(c).cast("string"), F.lit(""))) for c in entities])
+    return record_groups(records.select(id_col, first.alias("_entity")), id_col, "_entity", edges if links is None else edges.unionByName(links))
+
+
 def record_groups(records: DataFrame, id_col: str, entity: str, links: DataFrame) -> DataFrame:
     """(group_id, id) of every record with an entity: group_id is the smallest id of all records of tied entities, with
     ``group_size``.

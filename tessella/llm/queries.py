@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits, strip
-from tessella.llm import components, encoding, leaks, ledger, mixing, pii
-from tessella.operators import baskets
+from tessella.llm import baskets, components, encoding, leaks, ledger, mixing, pii
 from tessella.sources.tables import table
 
 
@@ -84,6 +83,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.common_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
 
 
+def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents without the passages, and how many words went."""
+    return leaks.without_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
 
@@ -109,7 +113,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p6_found, p6_masked, p7_found, p7_pairs, p8_found, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p6_found, p6_masked, p7_found, p7_pairs, p8_found, p8_removed, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 _ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"
