@@ -92,8 +92,7 @@ def factorise(rows: DataFrame, terms: int, k: int = 8, seed: int = 42, rounds: i
                 break
         if len(path) >= block:
             old, now = now, written(path)
-            if old.inputFiles():
-                discard(old)
+            discard(old)
             path = []
         h = update_h(h, wx, ww)
         path.append(h)
