@@ -23,8 +23,7 @@ def _with_minimum(pairs: DataFrame, written: list[DataFrame]) -> DataFrame:
 
 def _drop(written: list[DataFrame]) -> None:
     for df in written:
-        if df.inputFiles():
-            discard(df)
+        discard(df)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import letters_digits
-from tessella.plans.materialize import discard, materialize, new_path
+from tessella.plans.materialize import delete, new_path
 from tessella.plans.skew import join_to_unique
 
 KEY = ["key_a", "key_b"]
@@ -32,61 +32,85 @@ def canonical_keys(df: DataFrame, id_col: str, owner: str, fields: tuple[str, st
 
 
 class CopyLedger:
-    """Counts of canonical keys, kept as a table bucketed by key and updated batch by batch.
+    """Counts of canonical keys, kept in a folder as a table bucketed by key and updated batch by batch.
 
     ``add`` aggregates a batch (partly before its shuffle, so a key with a third of all rows costs one row a task),
     full-outer-joins it against the ledger's matching buckets, adds the counts and keeps the smallest id. Only the batch is
     shuffled: the ledger is already bucketed on the key, and the join's result is written without a further shuffle.
+
+    Each state is written whole before the one before it is deleted, so a job that is cut off leaves the last one. A ledger
+    made on a folder that holds one goes on from there, in any session, and skips the named batches that it has taken in.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
+        self.folder = folder or new_path(spark, "ledger")
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self._name: str | None = None
-        self._path: str | None = None
-
-    def add(self, keys: DataFrame) -> "CopyLedger":
-        """Take in a batch of ``canonical_keys``; an empty batch changes nothing."""
-        batch = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
-        if self._name is not None:
-            old = self.spark.table(self._name).withColumnsRenamed({"copies": "_copies", "first_id": "_first"})
-            batch = old.join(batch, KEY, "full_outer").select(
+        self.version, self.batches, self._path = 0, [], None
+        if folder and (states := self._states()):
+            last = spark.read.parquet(states[-1]).first()
+            self.version, self.buckets, self._path, self.batches = last["version"], last["buckets"], last["path"], list(last["batches"])
+
+    def _states(self) -> list[str]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state-*/_SUCCESS")
+        return sorted(s.getPath().getParent().toString() for s in pattern.getFileSystem(conf).globStatus(pattern) or [])
+
+    def _table(self, path: str) -> str:
+        name = f"tessella_ledger_{uuid.uuid4().hex}"
+        self.spark.sql(f"create table {name} (key_a bigint, key_b bigint, copies bigint, first_id bigint) using parquet clustered by (key_a, key_b) into {self.buckets} buckets location '{path}'")
+        return name
+
+    def add(self, keys: DataFrame, batch: str | None = None) -> "CopyLedger":
+        """Take in a batch of ``canonical_keys``; an empty batch changes no count, and a named one counts once."""
+        if batch is not None and batch in self.batches:
+            return self
+        new = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+        old_path, old_table = self._path, None
+        if old_path is not None:
+            old_table = self._table(old_path)
+            old = self.spark.table(old_table).withColumnsRenamed({"copies": "_copies", "first_id": "_first"})
+            new = old.join(new, KEY, "full_outer").select(
                 *KEY,
                 (F.coalesce("_copies", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("copies"),
                 F.least("_first", "first_id").alias("first_id"),
             )
         else:
-            batch = batch.repartition(self.buckets, *KEY)
-        name, path = f"tessella_ledger_{uuid.uuid4().hex}", new_path(self.spark, "ledger")
-        batch.write.bucketBy(self.buckets, *KEY).option("path", path).saveAsTable(name)
-        self._drop()
-        self._name, self._path = name, path
+            new = new.repartition(self.buckets, *KEY)
+        name, path = f"tessella_ledger_{uuid.uuid4().hex}", f"{self.folder}/counts-{self.version + 1:06}-{uuid.uuid4().hex}"
+        new.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        taken = [*self.batches, *([batch] if batch is not None else [])]
+        state = self.spark.createDataFrame([(self.version + 1, self.buckets, path, taken)], "version int, buckets int, path string, batches array<string>")
+        state.coalesce(1).write.parquet(f"{self.folder}/state-{self.version + 1:06}")
+        for table in (name, old_table):
+            if table is not None:
+                self.spark.sql(f"drop table {table}")
+        for gone in (old_path, f"{self.folder}/state-{self.version:06}" if self.version else None):
+            if gone is not None:
+                delete(self.spark, gone)
+        self.version, self.batches, self._path = self.version + 1, taken, path
         return self
 
     def counts(self) -> DataFrame:
         """key_a, key_b, copies, first_id of every key so far."""
-        if self._name is None:
-            return self.spark.createDataFrame([], "key_a long, key_b long, copies long, first_id long")
-        return self.spark.table(self._name)
-
-    def _drop(self) -> None:
-        if self._name is not None:
-            old = self.spark.table(self._name)
-            if old.inputFiles():
-                discard(old)
-            self.spark.sql(f"drop table {self._name}")
+        schema = "key_a long, key_b long, copies long, first_id long"
+        return self.spark.createDataFrame([], schema) if self._path is None else self.spark.read.schema(schema).parquet(self._path)
 
 
-def fold_batches(df: DataFrame, batch: str, id_col: str, owner: str, fields: tuple[str, str]) -> tuple[DataFrame, CopyLedger]:
+def fold_batches(df: DataFrame, batch: str, id_col: str, owner: str, fields: tuple[str, str], folder: str | None = None) -> tuple[DataFrame, CopyLedger]:
     """The canonical keys of all rows and the ledger after all batches, in the order of column ``batch``.
 
-    The texts are read once; batches are then taken from the written keys. The number of batches is that of the loads.
+    The texts are read once; the keys are written by batch, so each batch is read once too. With the ``folder`` of a kept
+    ledger, only batches that it has not taken in are added. The number of batches is that of the loads.
     """
     spark = df.sparkSession
-    keys = materialize(canonical_keys(df, id_col, owner, fields, [batch]), "keys")
-    ledger = CopyLedger(spark)
-    for row in keys.select(batch).distinct().orderBy(batch).collect():
-        ledger.add(keys.where(F.col(batch).eqNullSafe(F.lit(row[0]))))
+    named = canonical_keys(df.withColumn("_batch", F.coalesce(F.col(batch).cast("string"), F.lit(""))), id_col, owner, fields, ["_batch"])
+    path = new_path(spark, "keys")
+    named.write.partitionBy("_batch").parquet(path)
+    keys = spark.read.schema(f"id {named.schema['id'].dataType.simpleString()}, key_a long, key_b long, _batch string").parquet(path)
+    ledger = CopyLedger(spark, folder)
+    for row in keys.select("_batch").distinct().orderBy("_batch").collect():
+        ledger.add(keys.where(F.col("_batch").eqNullSafe(F.lit(row[0]))), row[0] or "")
     return keys, ledger
 
 
