@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import impute, profile
+from tessella.review_queries import sql_strip
 from tessella.sources import raw_lines
 from tessella.sources.tables import table
 
@@ -20,12 +21,14 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines.loaded(table(spark, sf_dir, "raw_review_lines"))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _changes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     reviews = table(spark, sf_dir, "reviews").withColumn("loaded_on", F.to_date("loaded_at"))
-    name = F.col("load")
+    name, columns = F.col("load"), profile.review_columns()
+    if every:
+        columns += profile.other_columns(reviews, columns, without=("source_file", "review_id", "row_index"))
     return profile.load_changes(
         reviews, "source_file", F.regexp_extract(name, r"^(.*)_\d+\.[^.]*$", 1), F.regexp_extract(name, r"_(\d+)\.[^.]*$", 1).try_cast("int"),
-        profile.review_columns(), ["loaded_on"],
+        columns, ["loaded_on"],
     )
 
 
@@ -35,8 +38,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile of each file's columns, with changes against the feed's preceding file."""
-    c = _changes(spark, sf_dir)
+    """The whole profile of all columns of each file, with changes against the feed's preceding file."""
+    c = _changes(spark, sf_dir, every=True)
     exact = ["rows", "nulls", "distinct_values", "min_value", "max_value", "malformed", "out_of_range", "s0"]
     rounded = [F.round(F.col(x).cast("double"), 6).alias(x) for x in ("s1", "s2", "null_rate", "mean", "deviation", "null_rate_change", "standardised_difference", "shift")]
     return c.select(F.col("load").alias("source_file"), "column_name", "previous_load", *exact, *rounded)
@@ -58,6 +61,15 @@ def queries() -> dict:
 
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+_WORDS_OF = ["author_id", "skin_tone", "eye_color", "skin_type", "hair_color", "product_id", "product_name", "brand_name"]
+_COUNTS_OF = ["total_feedback_count", "total_neg_feedback_count", "total_pos_feedback_count"]
+_BARE = lambda c: f"nullif({sql_strip(c)}, '')"
+_OTHERS = " union all ".join(
+    [f"select source_file, '{c}', {_BARE(c)}, {_BARE(c)} is not null, {_BARE(c)} is not null, null::decimal(20,4) from reviews" for c in _WORDS_OF]
+    + [f"select source_file, '{c}', cast({c} as varchar), {c} is not null, {c} is not null, try_cast({c} as decimal(20,4)) from reviews" for c in _COUNTS_OF]
+    + [f"select source_file, '{c}', md5({_BARE(c)}), {_BARE(c)} is not null, {_BARE(c)} is not null, cast(length({_BARE(c)}) as decimal(20,4)) from reviews" for c in ("review_text", "review_title")]
+    + ["select source_file, 'helpfulness', cast(h as varchar), h is not null, h is not null, cast(h as decimal(20,4)) from (select source_file, try_cast(case when isfinite(helpfulness) then helpfulness end as decimal(20,6)) as h from reviews)"]
+)
 _P4 = f"""
 r as (select source_file, cast(loaded_at as date) loaded_on, {_STRIP.format("rating")} rating, {_STRIP.format("is_recommended")} is_recommended,
       {_STRIP.format("price_usd")} price_usd, {_STRIP.format("submission_time")} submission_time from reviews),
@@ -72,11 +84,12 @@ n as (select *, case when formed and column_name <> 'submission_time' then try_c
 g as (select *, formed and coalesce(case column_name when 'rating' then x between 1 and 5 when 'is_recommended' then x between 0 and 1
         when 'price_usd' then x > 0 and x <= 500
         else try_cast(substr(v, 1, 10) as date) between date '2019-01-01' and loaded_on end, false) ranged from n),
+a as (select source_file, column_name, v, formed, ranged, x from g union all {_OTHERS}),
 p as (select source_file, column_name, count(*) as rows, count(*) - count(v) nulls, count(distinct v) distinct_values,
       min(v) filter (ranged) min_value, max(v) filter (ranged) max_value,
       count(*) filter (v is not null and not formed) malformed, count(*) filter (formed and not ranged) out_of_range,
       count(x) filter (ranged) s0, sum(x) filter (ranged) s1, sum(cast(x as decimal(18,4)) * cast(x as decimal(18,4))) filter (ranged) s2
-      from g group by all),
+      from a group by all),
 q as (select *, nulls / rows null_rate, s1::double / nullif(s0, 0) mean from p),
 d as (select *, case when s0 > 0 then sqrt(greatest(0, s2::double / s0 - mean * mean)) end deviation from q),
 o as (select source_file, lag(source_file) over (partition by regexp_extract(source_file, '^(.*)_[0-9]+[.][^.]*$', 1)
@@ -98,8 +111,22 @@ _WORD = f"case when {_KEY} <> '' and {_KEY} not in ({_WORDS}) then 1.0::double e
 _FIRST = r"try_cast(replace(regexp_extract(price_usd, '-?(?:[0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)', 0), ',', '.') as double)"
 
 
+_FIELD = r'"(?:[^"]|"")*"|[^",]*'
+_RAW_VALUES = ", ".join(f"{sql_strip(f'f[{i}]')} as v{i}" for i in range(1, 20))
+_P3 = rf"""with a as (select line_id, raw_line as t, regexp_full_match(raw_line, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') as sound from raw_review_lines),
+b as (select *, case when sound then length(regexp_replace(t, '(?s)"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(t, '(?s)"(?:[^"]|"")*"', '', 'g'), ',', '')) + 1 end as fields from a),
+c as (select *, list_transform(regexp_extract_all(t, '(?s)(?:^|,)({_FIELD})', 1), lambda x: case when starts_with(x, '"') then replace(x[2:length(x) - 1], '""', '"') else x end) as f from b where sound and fields = 19),
+v as (select line_id, {_RAW_VALUES} from c),
+ok as (select line_id, regexp_full_match(v1, '[0-9]+') and regexp_full_match(v3, '[1-5]') and regexp_full_match(v4, '[01]?') and (v5 = '' or (regexp_full_match(v5, '[0-9]+([.][0-9]+)?') and try_cast(v5 as double) <= 1))
+    and regexp_full_match(v6, '[0-9]*') and regexp_full_match(v7, '[0-9]*') and regexp_full_match(v8, '[0-9]*')
+    and (v9 = '' or (regexp_full_match(v9, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?') and try_strptime(v9[1:10], '%Y-%m-%d') is not null))
+    and v10 <> '' and (v19 = '' or (regexp_full_match(v19, '[0-9]+([.][0-9]+)?') and try_cast(v19 as double) > 0)) as good from v)
+select line_id, reason from (select b.line_id, case when not sound then 'quoting' when fields <> 19 then 'column_count' when not coalesce(good, false) then 'bad_value' end as reason from b left join ok using (line_id)) where reason is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _P3,
         "p4_found": f"""with {_P4} select source_file, column_name, unnest(list_filter([
             case when malformed > 0.05 * (rows - nulls) then 'pattern' end, case when out_of_range > 0.02 * (rows - nulls) then 'range' end,
             case when abs(null_rate_change) > 0.10 then 'null_rate' end, case when shift > 0.20 then 'shift' end], lambda x: x is not null)) finding from c""",
