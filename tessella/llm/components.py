@@ -102,9 +102,12 @@ def account_links(links: DataFrame, a: str = "author_id_a", b: str = "author_id_
     return e.where((F.col("u") != "") & (F.col("v") != ""))
 
 
-def _fraction(c) -> Column:
-    """A group's place in [0, 1): the first 13 hexadecimal digits of the md5 of its id."""
-    return F.conv(F.substring(F.md5(c.cast("string")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+PLACES = 16**4
+
+
+def _place(c) -> Column:
+    """A group's place in the hash order: the first four hexadecimal digits of the md5 of its id, below ``PLACES``."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 4), 16, 10).cast("int")
 
 
 def assign_splits(
@@ -113,7 +116,7 @@ def assign_splits(
     """(group_id, split_name) of every group, whole groups only, in the given proportions of records.
 
     ``groups`` has group_id, size and, for ``label``, the number of records with a positive label. The hash of the group's
-    id falls into proportional ranges. Groups with over ``giant_share`` of all records (at most ``1 / giant_share`` of them)
+    id falls into ranges, cut where the records counted in hash order reach the proportions. Groups with over ``giant_share`` of all records (at most ``1 / giant_share`` of them)
     would throw these off: they are first given, largest first, to the split that most lacks records and positives, and the
     ranges of the others are what the splits then lack. Proportions are normalised; no target gives an error.
     """
@@ -135,17 +138,19 @@ def assign_splits(
         placed.append((g["group_id"], name))
     rest = {k: max(0.0, v[0]) for k, v in lack.items()}
     whole = sum(rest.values()) or 1.0
-    ends, at = [], 0.0
+    fixed = spark.createDataFrame(placed, "group_id long, _fixed string")
+    marked = groups.join(F.broadcast(fixed), "group_id", "left").withColumn("_f", _place(F.col("group_id")))
+    counted = {r["_f"]: r["n"] for r in marked.where(F.col("_fixed").isNull()).groupBy("_f").agg(F.sum("size").alias("n")).collect()}  # PLACES rows at most
+    upto, ends, want, at = 0.0, [], 0.0, 0
     for name, left in rest.items():
-        at += left / whole
+        want += sum(counted.values()) * left / whole
+        while at < PLACES and upto + counted.get(at, 0) / 2 <= want:
+            upto += counted.get(at, 0)
+            at += 1
         ends.append((name, at))
-    split = reduce(lambda other, e: F.when(F.col("_f") < e[1], F.lit(e[0])).otherwise(other), reversed(ends[:-1]), F.lit(ends[-1][0]))
-    fixed = spark.createDataFrame(placed, "group_id long, _fixed string")
-    return (
-        groups.join(F.broadcast(fixed), "group_id", "left")
-        .withColumn("_f", _fraction(F.col("group_id")))
-        .select("group_id", F.coalesce("_fixed", split).alias("split_name"))
-    )
+    last = max(shares, key=lambda k: (shares[k], k))
+    split = reduce(lambda other, e: F.when(F.col("_f") < e[1], F.lit(e[0])).otherwise(other), reversed(ends), F.lit(last))
+    return marked.select("group_id", F.coalesce("_fixed", split).alias("split_name"))
 
 
 def split_records(records: DataFrame, id_col: str, entity: str, links: DataFrame, targets: list[tuple[str, float]], positive: Column) -> DataFrame:

@@ -45,11 +45,20 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every review's split, in the proportions of split_targets, tied authors in one split."""
     reviews, links = _linked(spark, sf_dir)
     targets = [(r["split_name"], r["proportion"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").collect()]
-    positive = strip("is_recommended") == "1"
+    positive = F.lower(strip("is_recommended")).isin("1", "1.0", "yes", "y", "true")
     split = components.split_records(reviews, "review_id", "author_key", links, targets, positive)
     return split.select(F.col("id").alias("review_id"), "group_id", "split_name")
 
 
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and actual proportion of each split, and its share of recommended reviews."""
+    reviews = table(spark, sf_dir, "reviews").select("review_id", (F.lower(strip("is_recommended")).isin("1", "1.0", "yes", "y", "true")).cast("int").alias("yes"))
+    s = p2_split(spark, sf_dir).join(reviews, "review_id").groupBy("split_name").agg(F.count(F.lit(1)).alias("reviews"), F.avg(F.coalesce("yes", F.lit(0))).alias("recommended_share"))
+    whole = s.agg(F.sum("reviews").alias("_all"))
+    targets = table(spark, sf_dir, "split_targets")
+    return targets.join(s, "split_name", "left").crossJoin(F.broadcast(whole)).select("split_name", "proportion", "reviews", (F.col("reviews") / F.col("_all")).alias("actual"), "recommended_share")
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_information(table(spark, sf_dir, "reviews"), "review_id", "review_text", "brand_name")
 
@@ -113,7 +122,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p6_found, p6_masked, p7_found, p7_pairs, p8_found, p8_removed, p9_mix, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_split, p2_shares, p6_found, p6_masked, p7_found, p7_pairs, p8_found, p8_removed, p9_mix, p9_shares, p10_found, p10_restored)}
 
 
 _ITEM = r"'{0}=' || nullif(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '')"

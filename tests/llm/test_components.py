@@ -50,4 +50,4 @@ def test_splits_keep_groups_whole_in_the_given_proportions(spark):
     for x in out:
         assert groups.setdefault(x["group_id"], x["split_name"]) == x["split_name"]
     part = {k: sum(x["split_name"] == k for x in out) / len(out) for k in ("train", "validation", "test")}
-    assert len(out) == 9000 and abs(part["train"] - 0.7) < 0.03 and abs(part["test"] - 0.2) < 0.03
+    assert len(out) == 9000 and abs(part["train"] - 0.7) < 0.005 and abs(part["test"] - 0.2) < 0.005
