@@ -200,6 +200,8 @@ def oracle_sql() -> dict[str, str]:
             select cluster, size, round(size * 100.0 / sum(size) over (), 6)::double as share_pct, {r6('avg_rating', 'avg_is_recommended', 'avg_sentiment_score')}, {themes} from g""",
         "cluster_mix": f"""with {SEGMENTS}, x as ({mix}) select cluster, "column", value as dominant, round(pct, 6) as dominant_pct from (select *, n * 100.0::double / sum(n) over (partition by cluster, "column") as pct,
             row_number() over (partition by cluster, "column" order by n desc, value) as place from x) where place = 1""",
+        "cluster_mix_text": f"""with {SEGMENTS}, x as ({mix}), y as (select *, n * 100.0::double / sum(n) over (partition by cluster, "column") as pct from x where "column" <> 'brand')
+            select cluster, "column", string_agg(value || ' ' || printf('%.1f', pct) || '%', ', ' order by n desc, value) as distribution from y group by "column", cluster""",
         "k_comparison": f"""with {SEGMENTS}, x as ({compare}), e as (select k, cluster, sum(n)::bigint as size, coalesce(max(n) filter (brand is not null), 0) as most from x group by k, cluster),
             h as (select *, size * 100.0::double / sum(size) over (partition by k) as share, most * 100.0::double / size as bs from e),
             t as (select k, count(*) as clusters, min(share) as smallest_pct, max(share) as largest_pct, avg(bs) as avg_dominant_brand_pct, count(*) filter (share < 8) as tiny_clusters, count(*) filter (bs >= 90) as one_brand_clusters from h group by k),
