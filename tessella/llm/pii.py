@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import strip
 from tessella.llm.pii_text import GIVEN, LABELS, STREET_AFTER, STREET_BEFORE, STREET_JOINED, UNITS, Writer
+from tessella.plans.materialize import discard, materialize
 
 #: A token takes the white space before it along, so its type knows what it is glued to.
 TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)|\s+$")
@@ -415,30 +417,116 @@ def complete(value: str, label: int) -> bool:
     }[label]
 
 
-def _sample(docs: DataFrame, doc_id: str, text: str, rows: int) -> list[str]:
-    """At most ``rows`` texts, those of the least hashes, for the vocabulary of the tagger."""
-    total = docs.count()
-    if not total:
-        return []
-    place = F.xxhash64(F.lit(11), doc_id) / F.lit(2.0**64) + 0.5
-    return [r[0] for r in docs.where((place < min(1.0, rows / total)) & F.col(text).isNotNull()).select(text).limit(rows).collect()]
+_BREAK = re.compile(r"<br ?/?>")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers of three digits, or of five in groups, and signs of addresses: no sentence with these goes unlabelled into training.
+_ADDRESS = re.compile(r"\d{3}|\d(?:[ .()/\-]{0,2}\d){4}|@|\(at\)")
+_personal = frozenset(g.lower() for g in GIVEN) | {"mrs", "mr", "dr", "ssn", "passport"}
+
+
+def _pieces(text: str) -> list[str]:
+    """A text cut at line breaks, before <br> and after sentences. Its words are the words of the pieces."""
+    return text.replace("<br", "\n<br").replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+
+
+class Language:
+    """Counts of texts and words, and the ``draw`` distinct ordinary sentences of least hashes: an even draw from those of all
+    texts added. Ordinary is what has no long numbers, signs of addresses, given names or titles. Equal pieces are read once;
+    memory is bounded where ``words`` is emptied in time."""
+
+    def __init__(self, draw: int):
+        self.draw, self.texts, self.bound = draw, 0, 1 << 32
+        self.words: Counter[str] = Counter()
+        self.drawn: dict[str, int] = {}
+        self.pieces: Counter[str] = Counter()
+
+    def add(self, texts: list[str]) -> None:
+        self.texts += len(texts)
+        for t in texts:
+            self.pieces.update(_pieces(t))
+            if len(self.pieces) > 100_000:
+                self.settle()
+
+    def settle(self) -> None:
+        """Count the pieces that wait."""
+        by_count: dict[int, list[str]] = {}
+        for p, n in self.pieces.items():
+            by_count.setdefault(n, []).append(p)
+        for n, pieces in by_count.items():
+            for w, m in Counter(_WORD.findall("\n".join(pieces).lower())).items():
+                self.words[w] += n * m
+        bare = {(_BREAK.sub("", p) if p[:1] == "<" else p).strip() for p in self.pieces}
+        self.pieces.clear()
+        places = sorted((h, s) for s in bare if len(s) > 8 and (h := zlib.crc32(s.encode())) < self.bound and s not in self.drawn)
+        fresh = 0
+        for h, s in places:
+            if fresh == self.draw:
+                break
+            if not _ADDRESS.search(s) and _personal.isdisjoint(_WORD.findall(s.lower())):
+                self.drawn[s] = h
+                fresh += 1
+        if len(self.drawn) > self.draw:
+            least = sorted(self.drawn.items(), key=lambda x: (x[1], x[0]))[: self.draw]
+            self.drawn, self.bound = dict(least), least[-1][1] + 1
+
+
+def _fitted(known: frozenset[str], sentences: list[str], brands: list[str], written: int, epochs: int, seed: int) -> Tagger:
+    plain = sorted(s for s in sentences if all(w in known for w in _WORD.findall(s.lower())))
+    marks = frozenset(w for b in brands for w in _WORD.findall(b.lower()) if w not in {"and", "the", "co", "lab", "skin"})
+    writer = Writer(seed, plain, brands)
+    tagger = Tagger(known | frozenset(w.lower() for w in writer.words), marks)
+    return tagger.fit([writer.text() for _ in range(written)], epochs)
 
 
 def train(texts: list[str], brands: list[str], written: int = 8000, epochs: int = 5, seed: int = 5, frequent: int = 5) -> Tagger:
     """A tagger for the language of ``texts``: their words with at least ``frequent`` occurrences are the known vocabulary,
     and their sentences of such words alone, without long numbers or signs of addresses, are the ordinary surroundings of
     ``written`` generated texts. ``brands`` are names that are no persons."""
-    split = re.compile(r"(?<=[.!?])\s+|\n|<br ?/?>")
-    words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
-    known = frozenset(w for w, n in words.items() if n >= frequent)
-    plain = sorted({s.strip() for t in texts for s in split.split(t) if len(s) > 8})
-    plain = [s for s in plain if not re.search(r"\d{3}|@|\(at\)", s) and all(w in known for w in re.findall(r"[^\W\d_]+", s.lower()))]
-    given = {g.lower() for g in GIVEN}
-    plain = [s for s in plain if not given & set(re.findall(r"[^\W\d_]+", s.lower())) and not re.search(r"\b(mrs|mr|dr|ssn|passport)\b", s.lower())]
-    marks = frozenset(w for b in brands for w in re.findall(r"[^\W\d_]+", b.lower()) if w not in {"and", "the", "co", "lab", "skin"})
-    writer = Writer(seed, plain, brands)
-    tagger = Tagger(known | frozenset(w.lower() for w in writer.words), marks)
-    return tagger.fit([writer.text() for _ in range(written)], epochs)
+    language = Language(2 * written)
+    language.add(texts)
+    language.settle()
+    return _fitted(frozenset(w for w, n in language.words.items() if n >= frequent), list(language.drawn), brands, written, epochs, seed)
+
+
+def _language(docs: DataFrame, text: str, draw: int, frequent: int, per_texts: int) -> tuple[int, frozenset[str], list[str]]:
+    """The number of all texts, their words with at least ``frequent`` occurrences in ``per_texts`` texts (or in all, if there are
+    fewer), and ``draw`` of their ordinary sentences. Every text is read; a share keeps the vocabulary's size as texts grow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language = Language(draw)
+
+        def rows(items: list[str], counts: list[int] | None, places: list[int] | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(counts or [None] * len(items), pa.int64()), pa.array(places or [None] * len(items), pa.int64())], ["item", "n", "place"])
+
+        for b in batches:
+            language.add(b.column(0).to_pylist())
+            if len(language.words) > 200_000:
+                yield rows(list(language.words), list(language.words.values()), None)
+                language.words.clear()
+        language.settle()
+        yield rows(["", *language.words], [language.texts, *language.words.values()], None)
+        yield rows(list(language.drawn), None, list(language.drawn.values()))
+
+    found = materialize(docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "item string, n long, place long"), "language")
+    texts = found.where("item = '' and n is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = found.where("item <> '' and n is not null").groupBy("item").agg(F.sum("n").alias("n"))
+    known = frozenset(r[0] for r in counts.where(F.col("n") * per_texts >= frequent * max(texts, per_texts)).select("item").collect())
+    places = found.where("place is not null").select("place", "item").distinct()
+    bound, ahead = 1 << 32, 0
+    for part, n in sorted(places.groupBy(F.shiftright("place", 16)).count().collect()):  # the driver only gets what it keeps, and one part in 65,536
+        ahead += n
+        if ahead >= draw:
+            bound = (part + 1) << 16
+            break
+    sentences = [s for _, s in sorted((r["place"], r["item"]) for r in places.where(F.col("place") < bound).collect())[:draw]]
+    discard(found)
+    return texts, known, sentences
+
+
+def _names(docs: DataFrame, column: str, over: int) -> list[str]:
+    """The values of a column that more than ``over`` rows hold, but for spacing, the most frequent first."""
+    counts = docs.where(F.col(column).isNotNull()).groupBy(strip(F.regexp_replace(column, r"(?U)\s+", " ")).alias("name")).count()
+    return [r["name"] for r in sorted(counts.where(F.col("count") > over).collect(), key=lambda r: (-r["count"], r["name"]))]
 
 
 def tag(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> DataFrame:
@@ -470,11 +558,11 @@ def tag(docs: DataFrame, doc_id: str, text: str, tagger: Tagger) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, types array<string>, masked string").withColumnRenamed("doc_id", doc_id)
 
 
-def personal_information(docs: DataFrame, doc_id: str, text: str, brand: str | None = None, sample_rows: int = 20_000) -> DataFrame:
-    """``tag`` by a tagger trained on generated values among the language of at most ``sample_rows`` of the texts."""
-    sample = _sample(docs, doc_id, text, sample_rows)
-    brands: list[str] = []
-    if brand:
-        counted = Counter(" ".join(b.split()) for b in _sample(docs, doc_id, brand, sample_rows))
-        brands = [b for b, n in counted.most_common() if n > max(2, len(sample) // 2000)]
-    return tag(docs, doc_id, text, train(sample, brands))
+def personal_information(
+    docs: DataFrame, doc_id: str, text: str, brand: str | None = None, written: int = 8000, epochs: int = 5, seed: int = 5, frequent: int = 5, per_texts: int = 20_000
+) -> DataFrame:
+    """``tag`` by a tagger trained on generated values among the language of all texts: as ``train``, but the known vocabulary has
+    ``frequent`` occurrences in ``per_texts`` texts, and brands are the values of more than one in 2,000 rows."""
+    texts, known, sentences = _language(docs, text, 2 * written, frequent, per_texts)
+    brands = _names(docs, brand, max(2, texts // 2000)) if brand else []
+    return tag(docs, doc_id, text, _fitted(known, sentences, brands, written, epochs, seed))

@@ -61,7 +61,7 @@ my license no. {L} {w}|ID card {I}|ID card number {I}, if needed|identity card {
 tax number {T}|taxpayer id {T}|National insurance {K}|National insurance no. {K} was on it|NI number {K}|insurance number {K}|resident permit {X}|{w} {w} {S} {w} {w}
 """.strip().replace("\n", "|").split("|")
 _OTHER_TEXTS = """
-Order #{9} came late|order {9} is missing|Order no. {9}|parcel {7} took days|tracking {4} {4} {4}, slow|tracking number {a}{a}{9}{a}{a}|Batch {4}-{3}, use by {2}/20{2}|batch {a}{7}|lot {a}{a}{7}
+Order #{9} came late|order {9} is missing|Order no. {9}|order #{10} was late|order no. {10}|parcel {10}|parcel {7} took days|tracking {4} {4} {4}, slow|tracking number {a}{a}{9}{a}{a}|Batch {4}-{3}, use by {2}/20{2}|batch {a}{7}|lot {a}{a}{7}
 lot {a}{7}|Lot no. {6}|LOT {a}{6}{a}|Coupon SKIN-{4}-{2} failed|coupon code {a}{a}{4}|code {6} did not work|Barcode {12} would not scan|barcode {13}|EAN {13}|article {6}|article no. {7}|item {8}
 Shade {3}-{2} N|shade {3}|formula v{1}.{1}.{2}|version {1}.{1}|Paid ${2}.{2} for it|${2}|{2}.{2} USD|{1}.{1} fl oz / {2} ml|{2} ml|from {2}-{2}-20{2} to {2}-{2}-20{2}|on {2}/{2}/20{2}|since 20{2}-{2}-{2}
 {1}/10|{2}/10|{1}.{1} out of 5|{1} out of 5|{2} % off|{3} points in the app|{2} hours|{1}-{1} times a day|SPF {2}|used {1} times|aisle {2}, shelf {1}|open {2} hours a day

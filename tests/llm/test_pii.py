@@ -72,3 +72,32 @@ def test_masked_text_nulls_ties_and_empty_tables(spark, tagger):
     found = [(r["review_id"], r["types"], r["masked"]) for r in pii.tag(df, "review_id", "text", tagger).collect()]
     assert found == [(1, ["phone"], "call me at [PHONE]")] * 2
     assert pii.personal_information(df.limit(0), "review_id", "text").count() == 0
+
+
+def test_vocabulary_and_brands_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, texts, epochs: self)
+    monkeypatch.setattr(pii, "tag", lambda docs, doc_id, text, tagger: tagger)
+    text = "case when id % 4000 = 0 then 'The oil feels zwoel today.' when id % 4000 = 2 and id > 4000 then 'The oil feels zwonk today.' when id = 7 then null else 'This oil feels nice.' end"
+    brand = "case when id % 1900 = 0 then ' Vera  Lune' when id % 2110 = 1 then 'Third Tide' end"
+    df = spark.range(40_000).selectExpr("id", f"{text} as text", f"{brand} as brand")
+    tagger = pii.personal_information(df, "id", "text", "brand")
+    assert "zwoel" in tagger.known and "zwonk" not in tagger.known  # 10 and 9 occurrences; 5 in 20,000 texts are known
+    assert tagger.brands == {"vera", "lune"}  # 22 and 19 rows; over 19 are a brand
+
+
+def test_words_and_sentences_do_not_depend_on_how_texts_are_cut(spark):
+    texts = [f"Oil number {i % 700} feels w{'abcdefg'[i % 7]} now! And <br />so ΣΑΣ do I.\nA line.<br/>Mail a@b.com or Anna" for i in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole, a, b = pii.Language(40), *(pii._language(df.repartition(k), "text", 40, 5, 20_000) for k in (1, 9))
+    whole.add(texts)
+    whole.settle()
+    words = pii.Counter(w for t in texts for w in pii.re.findall(r"[^\W\d_]+", t.lower()))
+    assert whole.words == words and a == b and a[0] == 3000 and a[1] == {w for w, n in words.items() if n >= 5}
+    assert sorted(a[2]) == sorted(whole.drawn) and len(a[2]) == 40 and not any("@" in s or "Anna" in s for s in a[2])
+
+
+def test_numbers_in_groups_are_no_ordinary_sentences():
+    language = pii.Language(100)
+    language.add(["QQ 51 15 04 C was printed on it. Reach me on +33 1 99 00 94 88 after six. Paid $70.00 for 50 ml of it. It is sticky."])
+    language.settle()
+    assert set(language.drawn) == {"Paid $70.00 for 50 ml of it.", "It is sticky."}
