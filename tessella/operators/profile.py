@@ -7,47 +7,66 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import blank_to_null
 from tessella.plans.materialize import materialize
 
 
 @dataclass(frozen=True)
 class Checked:
-    """How one column is profiled: ``form`` is its pattern (None takes any value), ``in_range`` a test of a well-formed value,
-    ``number`` its numeric value (or None) and ``share`` the value or band whose shares are compared between loads (or None).
+    """How one column is profiled: ``form`` is its pattern (None takes any value), ``in_range`` a test of a well-formed value
+    (None takes any), ``number`` its numeric value (or None) and ``share`` the value or band whose shares are compared between loads (or None).
     A ``digest`` column holds long texts: its values are counted by their md5, and its number is their length."""
 
     name: str
     form: str | None
-    in_range: Column
+    in_range: Column | None = None
     number: Column | None = None
     share: Column | None = None
     digest: bool = False
 
 
+#: What ``\s`` of a pattern with Unicode classes matches; trimming by a list reads only the ends of a text.
+_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _bare(name: str, kind: str) -> Column:
+    """A cell as stripped text, null where nothing is left."""
+    if kind in ("double", "float"):
+        return F.col(name).try_cast("decimal(20,6)").cast("string")
+    if kind.split("(")[0] in (*_NUMBERS, "boolean", "date", "timestamp", "timestamp_ntz"):
+        return F.col(name).cast("string")
+    v = F.btrim(F.col(name).cast("string"), F.lit(_SPACE))
+    return F.when(v != "", v)
+
+
 def value_counts(df: DataFrame, load: str, columns: list[Checked], extra: list[str] | None = None) -> DataFrame:
     """Rows by load, column and value, with ``formed`` and ``ranged``: all later figures merge from these counts.
 
-    A value, column or load with a third of all rows is counted before the shuffle. ``in_range`` may use the columns of
-    ``extra``, and ``_v``, the stripped value; null and blank are one.
+    A value, column or load with a third of all rows is counted before the shuffle, and rules are only tried on counted values.
+    ``in_range`` may use the columns of ``extra``, by which values are counted apart, and ``_v``, the stripped value; null and
+    blank are one.
     """
-    cells = []
+    cells, kinds, extra = [], dict(df.dtypes), extra or []
     for c in columns:
-        v = blank_to_null(F.col(c.name).try_cast("decimal(20,6)").cast("string") if dict(df.dtypes)[c.name] in ("double", "float") else F.col(c.name).cast("string"))
-        cells.append(F.struct(F.lit(c.name).alias("column_name"), (F.md5(v) if c.digest else v).alias("_v"), (F.length(v) if c.digest else F.lit(None).cast("int")).alias("_length")))
-    long = df.select(F.col(load).alias("load"), *(extra or []), F.explode(F.array(*cells)).alias("cell")).select("load", *(extra or []), "cell.*")
-    formed, ranged, number, share = F.lit(False), F.lit(False), F.lit(None).cast("decimal(20,4)"), F.lit(None).cast("string")
+        v = _bare(c.name, kinds[c.name])
+        mine = [(F.lit(None).cast(kinds[x]) if c.in_range is None else F.col(x)).alias(x) for x in extra]
+        cells.append(F.struct(F.lit(c.name).alias("column_name"), (F.md5(v) if c.digest else v).alias("_v"), (F.length(v) if c.digest else F.lit(None).cast("int")).alias("_length"), *mine))
+    long = df.select(F.col(load).alias("load"), F.explode(F.array(*cells)).alias("cell")).select("load", "cell.*")
+    values = long.groupBy("load", "column_name", "_v", "_length", *extra).agg(F.count(F.lit(1)).alias("n"))
+    formed, number, share = F.col("_v").isNotNull(), F.lit(None).cast("decimal(20,4)"), F.lit(None).cast("string")
+    ranged = formed
     for c in columns:
         mine = F.col("column_name") == c.name
         form = F.col("_v").isNotNull() if c.form is None else F.coalesce(F.col("_v").rlike(c.form), F.lit(False))
-        formed = F.when(mine, form).otherwise(formed)
-        ranged = F.when(mine, form & F.coalesce(c.in_range, F.lit(False))).otherwise(ranged)
+        if c.form is not None:
+            formed = F.when(mine, form).otherwise(formed)
+        if c.form is not None or c.in_range is not None:
+            ranged = F.when(mine, form if c.in_range is None else form & F.coalesce(c.in_range, F.lit(False))).otherwise(ranged)
         if c.number is not None:
             number = F.when(mine & form, c.number.try_cast("decimal(20,4)")).otherwise(number)
         if c.share is not None:
             share = F.when(mine & form, c.share.cast("string")).otherwise(share)
-    rows = long.select("load", "column_name", F.col("_v").alias("value"), formed.alias("formed"), ranged.alias("ranged"), number.alias("number"), share.alias("share"))
-    return rows.groupBy("load", "column_name", "value", "formed", "ranged", "number", "share").agg(F.count(F.lit(1)).alias("n"))
+    return values.select("load", "column_name", F.col("_v").alias("value"), formed.alias("formed"), ranged.alias("ranged"), number.alias("number"), share.alias("share"), "n")
 
 
 def column_profile(counts: DataFrame) -> DataFrame:
@@ -71,8 +90,10 @@ def column_profile(counts: DataFrame) -> DataFrame:
         power(number * n).alias("s1"),
         F.sum(square * F.pmod(n, million).cast("decimal(6,0)")).cast("decimal(37,8)").alias("_low"),
         F.sum(square * F.floor(n / million).cast("decimal(6,0)")).cast("decimal(30,8)").alias("_high"),
+        F.bool_or(number.isNotNull() & square.isNull()).alias("_too_large"),
     )
-    base = base.withColumn("s2", (F.col("_low") + (F.col("_high") * million.cast("decimal(7,0)")).cast("decimal(37,8)")).cast("decimal(38,8)")).drop("_low", "_high")
+    s2 = (F.col("_low") + (F.col("_high") * million.cast("decimal(7,0)")).cast("decimal(37,8)")).cast("decimal(38,8)")
+    base = base.withColumn("s2", F.when(~F.col("_too_large"), s2)).drop("_low", "_high", "_too_large")  # no sum that leaves squares out
     mean = F.col("s1").cast("double") / F.col("s0")
     spread = F.greatest(F.lit(0.0), F.col("s2").cast("double") / F.col("s0") - mean * mean)
     known = F.col("rows") - F.col("nulls")
@@ -81,7 +102,7 @@ def column_profile(counts: DataFrame) -> DataFrame:
         .withColumn("malformed_rate", F.try_divide("malformed", known))
         .withColumn("out_of_range_rate", F.try_divide("out_of_range", known))
         .withColumn("mean", F.when(F.col("s0") > 0, mean))
-        .withColumn("deviation", F.when(F.col("s0") > 0, F.sqrt(spread)))
+        .withColumn("deviation", F.when(F.col("s2").isNotNull(), F.sqrt(spread)))
     )
 
 
@@ -158,11 +179,11 @@ def review_columns() -> list[Checked]:
 
 
 def other_columns(df: DataFrame, ruled: list[Checked], digests: tuple[str, ...] = ("review_text", "review_title"), without: tuple[str, ...] = ()) -> list[Checked]:
-    """All other columns of numbers and strings, by their type and without rules."""
+    """All other columns, of whatever type, by their text and without rules; those of numbers have numbers."""
     named, v = {c.name for c in ruled} | set(without), F.col("_v")
     out = []
     for name, kind in df.dtypes:
-        if name not in named and kind in ("string", "int", "bigint", "double", "float"):
-            number = None if kind == "string" else v.try_cast("decimal(20,4)")
-            out.append(Checked(name, None, F.lit(True), F.col("_length").cast("decimal(20,4)") if name in digests else number, None, name in digests))
+        if name not in named:
+            number = v.try_cast("decimal(20,4)") if kind.split("(")[0] in _NUMBERS else None
+            out.append(Checked(name, None, None, F.col("_length").cast("decimal(20,4)") if name in digests else number, None, name in digests))
     return out

@@ -21,28 +21,40 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines.loaded(table(spark, sf_dir, "raw_review_lines"))
 
 
-def _changes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    reviews = table(spark, sf_dir, "reviews").withColumn("loaded_on", F.to_date("loaded_at"))
-    name, columns = F.col("load"), profile.review_columns()
-    if every:
-        columns += profile.other_columns(reviews, columns, without=("source_file", "review_id", "row_index"))
+_KEYS = ["review_id", "row_index", "loaded_at"]
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every column but the file's name, of any type."""
+    reviews = table(spark, sf_dir, "reviews")
+    name, ruled = F.col("load"), profile.review_columns()
+    columns = ruled + profile.other_columns(reviews, ruled, without=("source_file",))
     return profile.load_changes(
-        reviews, "source_file", F.regexp_extract(name, r"^(.*)_\d+\.[^.]*$", 1), F.regexp_extract(name, r"_(\d+)\.[^.]*$", 1).try_cast("int"),
-        columns, ["loaded_on"],
+        reviews.withColumn("loaded_on", F.to_date("loaded_at")), "source_file", F.regexp_extract(name, r"^(.*)_\d+\.[^.]*$", 1),
+        F.regexp_extract(name, r"_(\d+)\.[^.]*$", 1).try_cast("int"), columns, ["loaded_on"],
     )
 
 
+def _profiled(changes: DataFrame) -> DataFrame:
+    exact = ["rows", "nulls", "distinct_values", "min_value", "max_value", "malformed", "out_of_range", "s0"]
+    rounded = [F.round(F.col(x).cast("double"), 6).alias(x) for x in ("s1", "s2", "null_rate", "mean", "deviation", "null_rate_change", "standardised_difference", "shift")]
+    return changes.select(F.col("load").alias("source_file"), "column_name", "previous_load", *exact, *rounded)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong or has changed in the columns of each file."""
-    return profile.findings(_changes(spark, sf_dir)).withColumnRenamed("load", "source_file")
+    """What is wrong or has changed in the four columns with rules of each file, by the profile of all its columns."""
+    ruled = [c.name for c in profile.review_columns()]
+    return profile.findings(_changes(spark, sf_dir).where(F.col("column_name").isin(ruled))).withColumnRenamed("load", "source_file")
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile of all columns of each file, with changes against the feed's preceding file."""
-    c = _changes(spark, sf_dir, every=True)
-    exact = ["rows", "nulls", "distinct_values", "min_value", "max_value", "malformed", "out_of_range", "s0"]
-    rounded = [F.round(F.col(x).cast("double"), 6).alias(x) for x in ("s1", "s2", "null_rate", "mean", "deviation", "null_rate_change", "standardised_difference", "shift")]
-    return c.select(F.col("load").alias("source_file"), "column_name", "previous_load", *exact, *rounded)
+    """The profile of each file's columns of content, with changes against the feed's preceding file."""
+    return _profiled(_changes(spark, sf_dir).where(~F.col("column_name").isin(_KEYS)))
+
+
+def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profile of every column, record numbers and load times among them."""
+    return _profiled(_changes(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +69,7 @@ def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_loaded, p4_found, p4_profile, p5_found, p5_filled)}
+    return {f.__name__: f for f in (p3_found, p3_loaded, p4_found, p4_profile, p4_columns, p5_found, p5_filled)}
 
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
@@ -105,6 +117,11 @@ c as (select d.*, o.previous_load, h.shift, d.null_rate - e.null_rate null_rate_
       from d join o using (source_file) left join d e on e.source_file = o.previous_load and e.column_name = d.column_name
       left join h on h.source_file = d.source_file and h.column_name = d.column_name)
 """
+_KEYED = " union all ".join(
+    [f"select source_file, '{c}', cast({c} as varchar), {c} is not null, {c} is not null, try_cast({c} as decimal(20,4)) from reviews" for c in ("review_id", "row_index")]
+    + ["select source_file, 'loaded_at', cast(loaded_at as varchar), loaded_at is not null, loaded_at is not null, null::decimal(20,4) from reviews"]
+)
+_P4_KEYED = _P4.replace(_OTHERS, f"{_OTHERS} union all {_KEYED}").replace("decimal(18,4)", "decimal(19,4)")  # squares of record numbers need more digits
 _KEY = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _WORDS = ", ".join(f"'{w}'" for w in impute.NOT_GIVEN)
 _WORD = f"case when {_KEY} <> '' and {_KEY} not in ({_WORDS}) then 1.0::double end"
@@ -134,6 +151,10 @@ def oracle_sql() -> dict[str, str]:
             out_of_range, s0, round(s1::double, 6) s1, round(s2::double, 6) s2, round(null_rate, 6) null_rate, round(mean, 6) mean,
             round(deviation, 6) deviation, round(null_rate_change, 6) null_rate_change,
             round(standardised_difference, 6) standardised_difference, round(shift, 6) shift from c""",
+        "p4_columns": f"""with {_P4_KEYED} select source_file, column_name, previous_load, rows, nulls, distinct_values, min_value, max_value, malformed,
+            out_of_range, s0, round(s1::double, 6) s1, round(s2::double, 6) s2, round(null_rate, 6) null_rate, round(mean, 6) mean,
+            round(deviation, 6) deviation, round(null_rate_change, 6) null_rate_change,
+            round(standardised_difference, 6) standardised_difference, round(shift, 6) shift from c""",
         "p5_found": f"""with r as (select review_id, {_KEY.format("author_id")} a, lower(trim(product_id)) p,
                 {_WORD.format("skin_type")} t, {_WORD.format("skin_tone")} s, case when {_FIRST} > 0 then {_FIRST} end m,
                 case when not isnan(helpfulness) then helpfulness end h from reviews),

@@ -41,3 +41,32 @@ def test_empty_table(spark):
     name = F.col("load")
     changes = profile.load_changes(_rows(spark).limit(0), "load", name, name, _columns())
     assert changes.count() == 0 and profile.findings(changes).count() == 0
+
+
+def test_columns_of_any_type_are_profiled(spark):
+    sql = "select 'f_01' as load, id as k, cast(id as decimal(9,2)) as d, id > 1 as b, date'2020-01-01' + cast(id as int) as day, timestamp'2020-01-01 10:00:00' as at, array(id) as a, cast(id as smallint) as s, case id when 0 then '　x \n' when 1 then 'x' else '  \t' end as t from range(3)"
+    df = spark.sql(sql)
+    cols = profile.other_columns(df, [], digests=(), without=("load",))
+    got = {r["column_name"]: r for r in profile.column_profile(profile.value_counts(df, "load", cols)).collect()}
+    assert {n: (r["rows"], r["nulls"], r["distinct_values"]) for n, r in got.items()} == {n: (3, 0, k) for n, k in {"k": 3, "d": 3, "b": 2, "day": 3, "at": 1, "a": 3, "s": 3}.items()} | {"t": (3, 1, 1)}
+    assert [float(got[n]["s1"]) for n in ("k", "d", "s")] == [3.0] * 3 and got["day"]["s0"] == 0
+
+
+def test_queries_profile_every_column(spark, tmp_path, monkeypatch):
+    from tessella import queries
+
+    made, whole = [], profile.load_changes
+    monkeypatch.setattr(profile, "load_changes", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    names = "review_id bigint, row_index bigint, author_id string, rating string, is_recommended string, price_usd string, submission_time string, review_text string, source_file string, loaded_at timestamp_ntz"
+    rows = [(i, i, "a", "9", "1", "5", "2020-01-01", "t", f"reviews_x_0{1 + i % 2}.csv", None) for i in range(6)]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "reviews.parquet"))
+    found = queries.p4_found(spark, str(tmp_path)).collect()
+    profiled = {r["column_name"] for r in made[0].select("column_name").collect()}
+    assert profiled == {n.split()[0] for n in names.split(", ")} - {"source_file"}
+    assert {(r["column_name"], r["finding"]) for r in found} == {("rating", "range"), ("submission_time", "range")}
+
+
+def test_squares_of_too_large_numbers_are_not_left_out(spark):
+    df = spark.sql("select 'f_01' as load, id as small, id * 300000000000 as large from range(3)")
+    got = {r["column_name"]: r for r in profile.column_profile(profile.value_counts(df, "load", profile.other_columns(df, [], without=("load",)))).collect()}
+    assert (float(got["small"]["s2"]), got["large"]["s2"], got["large"]["deviation"], got["large"]["mean"]) == (5.0, None, None, 3e11)
